@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.plans import changes
+from siftwell.plans import changes, files
 
-_MODULES = (changes,)
+_MODULES = (changes, files)
 FLAGSHIP = changes.p2_summary
 
 
