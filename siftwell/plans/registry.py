@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.plans import changes, files
+from siftwell.plans import changes, files, lookups
 
-_MODULES = (changes, files)
+_MODULES = (changes, files, lookups)
 FLAGSHIP = changes.p2_summary
 
 
