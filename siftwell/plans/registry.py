@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.plans import changes, files, lookups
+from siftwell.plans import changes, files, lookups, searches
 
-_MODULES = (changes, files, lookups)
-FLAGSHIP = changes.p2_summary
+_MODULES = (changes, files, lookups, searches)
+FLAGSHIP = searches.search_plain
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
