@@ -62,7 +62,8 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: st
                 new[1:] |= ~same.to_numpy(zero_copy_only=False)
             block = np.cumsum(new)
             grouped = batch.column(value).to_pandas().groupby(block)
-            run = (grouped.cumsum() if how == "sum" else grouped.cummax()).to_numpy().copy()
+            run = grouped.cumsum() if how == "sum" else grouped.cummax().groupby(block).ffill()
+            run = run.to_numpy().copy()
             first = tuple(batch.column(c)[0].as_py() for c in by)
             if last is not None and first == last:
                 head = block == 0
