@@ -197,7 +197,7 @@ def _shared_encoder(spark: SparkSession, path: str):
 
 
 def _mapped(df: DataFrame, text: str, out: str, path: str, count: bool) -> DataFrame:
-    rest = [f for f in df.schema.fields if f.name != text]
+    rest = [f for f in df.schema.fields if f.name not in (text, out)]
     kind = T.LongType() if count else T.ArrayType(T.IntegerType(), False)
     schema = T.StructType([*rest, T.StructField(out, kind, False)])
     shared = _shared_encoder(df.sparkSession, path)
@@ -227,7 +227,8 @@ def _mapped(df: DataFrame, text: str, out: str, path: str, count: bool) -> DataF
 
 def encode_column(df: DataFrame, text: str, out: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with ``text`` replaced by ``out``, its token ids (array<int>)
-    without special tokens, whose spellings count as ordinary text. Null and
+    without special tokens, whose spellings count as ordinary text. A column that is
+    already named ``out`` is replaced. Null and
     empty texts give an empty list; other columns pass unchanged. One narrow
     pass, no shuffle. ``path`` is a vocabulary file of ranks."""
     return _mapped(df, text, out, path or vocabulary_path(), False)
