@@ -4,7 +4,7 @@ import pytest
 
 from siftwell.operators.chunker import chunk_spans, spans, text_lines
 from siftwell.operators.declare import declared_name, names_in
-from siftwell.operators.rank import evaluated, presented, settle
+from siftwell.operators.rank import HIT, evaluated, presented, settle, settled
 
 
 def test_lines():
@@ -84,6 +84,25 @@ def test_an_opening_yields_to_the_body():
     assert settle([], set()) == []
 
 
+def test_a_hot_file_hides_no_hit_of_others(spark):
+    rng = random.Random(3)
+    hits = [hit(c, 0.05, 1 + 200 * c, 50 + 200 * c, declares=True) for c in range(1200)] + [hit(c, round(0.05 - rng.random() / 50, 6), 1 + 30 * (c % 9), 30 + 30 * (c % 9), file=2 + c // 9 % 5, declares=c % 2 > 0) for c in range(1200, 1245)]
+    hits += [hit(c, round(0.01 + rng.choice([0.0, 0.01, rng.random() / 50]), 6), 1 + 90 * (c % 60), 80 + 90 * (c % 60), file=c // 60) | {"query_id": 2} for c in range(3000, 3300)]
+    want = []
+    for q in (1, 2):
+        seen, out = {}, []
+        for h in sorted(settle([x for x in hits if x["query_id"] == q], set()), key=lambda x: (-x["score"], x["chunk_id"])):
+            k = seen[h["file_id"]] = seen.get(h["file_id"], -1) + 1
+            out.append((-round(h["score"] * 0.85**k, 12), h["chunk_id"], h["start_line"], h["end_line"]))
+        want += [(q, i, c, a, b) for i, (_, c, a, b) in enumerate(sorted(out)[:8], 1)]
+    chunks = spark.createDataFrame([(h["chunk_id"], h["file_id"], h["start_line"], 9.0, None) for h in hits], "chunk_id long, file_id long, start_line int, length double, names array<struct<name string, line int>>")
+    files = spark.createDataFrame([(f, 10.0) for f in {h["file_id"] for h in hits}], "file_id long, length double")
+    names = [x.split()[0] for x in HIT.split(", ")]
+    got = settled(spark.createDataFrame([tuple(h[n] for n in names) for h in hits], HIT), chunks, files).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.chunk_id, r.start_line, r.end_line) for r in got] == want
+    assert {r.file_id for r in got if r.query_id == 1} > {1}
+
+
 def test_presentation(spark, rows):
     cols = "query_id long, rank int, chunk_id long, score double, coverage double, declares boolean"
     clear = [(1, 1, 1, 1.0, 0.2, True), (1, 2, 2, 0.5, 0.9, False), (1, 3, 3, 0.4, 0.1, True)]
