@@ -34,8 +34,9 @@ class Corpus:
         self.texts = materialise(self.texts, "texts")
         spans = store.dense_ids(chunker.chunk_spans(self.texts, "file_id"), ["file_id", "ord"], "chunk_id")
         spans = materialise(spans, "spans")
-        self.declarations = materialise(declare.declarations(self.texts, "file_id"), "declarations")
-        named = spans.join(self.declarations.drop("ord"), "file_id").where("line between start_line and end_line").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("n"))
+        declared = materialise(declare.chunk_declarations(self.texts, "file_id"), "declarations")
+        self.declarations = declared.select("file_id", "name", "line").distinct()
+        named = spans.join(declared, ["file_id", "ord"]).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("n"))
         body = spans.join(self.texts.select("file_id", "path", "text"), "file_id")
         body = body.select("chunk_id", "file_id", "start_line", "end_line", "path", F.array_join(F.slice(F.split("text", "\r?\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("text"))
         terms = analyze.index_terms(body, "chunk_id")

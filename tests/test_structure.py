@@ -3,7 +3,7 @@ import random
 import pytest
 
 from siftwell.operators.chunker import chunk_spans, spans, text_lines
-from siftwell.operators.declare import declared_name, names_in
+from siftwell.operators.declare import chunk_declarations, declarations, declared_name, names_in
 from siftwell.operators.rank import HIT, evaluated, presented, settle, settled
 
 
@@ -67,6 +67,16 @@ def test_names_by_syntax():
     assert len(names_in("a.md", ["# x"] * 200)) == 96
 
 
+def test_names_are_counted_and_limited_in_each_chunk(spark):
+    body = ["    x += 1"] * 12
+    twice = "\n".join(["def init():", *body, "", "def init():", *body])
+    long = "\n".join(f"def f{i}():\n" + "\n".join(body) + "\n" for i in range(120))
+    docs = spark.createDataFrame([(1, "a.py", twice), (2, None, long), (3, "a.py", None), (4, "a.py", "")], "id long, path string, text string")
+    assert [tuple(r) for r in declarations(docs, "id").where("id <> 2").orderBy("ord").collect()] == [(1, 0, "init", 1), (1, 1, "init", 15)]
+    assert [r.name for r in declarations(docs, "id").where("id = 2").orderBy("ord").collect()] == [f"f{i}" for i in range(120)]
+    assert [tuple(r) for r in chunk_declarations(docs, "id").where("id = 1").orderBy("ord").collect()] == [(1, 0, "init", 1), (1, 1, "init", 15)]
+
+
 def hit(chunk, score, start, end, file=1, coverage=0.0, declares=False):
     return {"query_id": 1, "chunk_id": chunk, "file_id": file, "score": score, "start_line": start, "end_line": end, "coverage": coverage, "declares": declares}
 
