@@ -43,7 +43,7 @@ _COMMENT = re.compile(r"/\*.*?\*/|(?<![:\w])//[^\n]*|(?m:^[ \t]*(?:#(?!\[|includ
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)\w?")
 _WORD = re.compile(r"[^\W\d]\w*")
 _SPACE = re.compile(r"\s+")
-HEAD_LINES, TAIL_LINES = 24, 3
+CLOSING_LINES = 2  # of code, that may close a text below its end note
 
 
 def path_reason(path: Column) -> Column:
@@ -91,12 +91,17 @@ def text_reason(text: str | None, kind: str | None) -> str | None:
     lines = text.split("\n")
     comment = _MARKDOWN_COMMENT if kind == "Docs" else _COMMENT_LINE
     head = []
-    for x in lines[:HEAD_LINES]:
+    for x in lines:
         if x.strip() and not comment.match(x):
             break
         head.append(x)
-    tail = [x for x in [y for y in lines[-2 * TAIL_LINES :] if y.strip()][-TAIL_LINES:] if comment.match(x)]
-    for x in (*head, *tail):
+    tail = []
+    for i, x in enumerate(y for y in reversed(lines) if y.strip()):
+        if comment.match(x):
+            tail.append(x)
+        elif i >= CLOSING_LINES:
+            break
+    for x in (*head, *reversed(tail)):
         if not _BY_HAND.search(x):
             if _GENERATED.search(x):
                 return "generated"

@@ -104,6 +104,17 @@ def test_reasons_of_texts(text, kind, reason):
     assert A.text_reason(text, kind) == reason
 
 
+def test_the_whole_comment_runs_tell():
+    licence, code = "// Licence terms apply.\n" * 40, "int a;\nlong total(cart *c) {\n  return c->n + 1;\n}\nvoid close(void);\n"
+    assert A.text_reason(licence + "// Code generated by x. DO NOT EDIT.\n" + code, "Code") == "generated"
+    assert A.text_reason(licence + code, "Code") is None and A.text_reason(licence + "//\n// vendored from upstream\n" + code, "Code") == "third_party"
+    end = "// end of the output of x\n"
+    assert A.text_reason(code + end + "\n" * 9, "Code") == "generated"
+    assert A.text_reason(code + end + "// more\n" * 9, "Code") == "generated"
+    assert A.text_reason(code + end + "}\n\n\n}\n", "Code") == "generated"
+    assert A.text_reason(code + end + code, "Code") is None
+
+
 def test_artefacts(spark, rows):
     files = spark.createDataFrame([(1, "vendor/a.c", "Code"), (1, "vendor/a.c", "Code"), (2, "src/vendor_portal/a.c", "Code"), (3, "x/Cargo.lock", None), (4, "src/a.c", "Code"), (5, None, None), (None, "vendor/b.c", "Code"), (6, "web\\assets\\lib-1.2.3-x.css", "Code"), (7, "api/a.pb.go", "Code"), (8, "s/a.js.map", None)], "file_id long, path string, kind string")
     texts = spark.createDataFrame([(4, "// @generated\n", "Code"), (4, "int a;", "Code"), (99, "// @generated\n", "Code"), (None, "// @generated\n", "Code"), (2, None, None), (5, "", None)], "file_id long, text string, kind string")
