@@ -1,9 +1,9 @@
 """Cutting a text into chunks along its indentation.
 
-A *unit* opens at the base indentation after a blank line or after a closing
-line. Small units join up to a chunk of 12 lines; a unit over 80 lines is cut
-again one level deeper, four levels at most; what has no units is cut into
-overlapping windows of 60 lines.
+A *block* opens at the base indentation after a blank line or after a closing
+line. Small blocks are packed into chunks of 12 lines or more; a block over 80
+lines is cut again one level deeper, four levels at most; what falls into no
+blocks is cut into overlapping windows of 60 lines.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from siftwell.session import spread
+
 MIN_LINES, MAX_LINES, WINDOW, STRIDE, MAX_DEPTH = 12, 80, 60, 50, 4
 _BREAK = re.compile(r"\r?\n")
-_CLOSER = re.compile(r"[})\]]|end$")
+_NEVER = 1 << 30
 
 
 def text_lines(text: str) -> list[str]:
@@ -27,72 +30,81 @@ def text_lines(text: str) -> list[str]:
     return out[:-1] if out[-1] == "" else out
 
 
-class _Shape:
+class Layout:
+    """What the cut needs of a text, as arrays over its lines: ``depth`` of the
+    lines that can open a block (others lie beyond any base), ``needs`` the least
+    base at which the line above lets a block open, and for each place the next
+    and the last written line."""
+
     def __init__(self, lines: list[str]) -> None:
-        bodies = [x.strip() for x in lines]
-        self.blank = [not b for b in bodies]
-        self.closer = [bool(_CLOSER.match(b)) for b in bodies]
-        self.indent = [sum(4 if c == "\t" else 1 for c in x[: len(x) - len(x.lstrip())]) for x in lines]
-
-    def trimmed(self, lo: int, hi: int) -> tuple[int, int]:
-        while lo < hi and self.blank[lo]:
-            lo += 1
-        while lo < hi and self.blank[hi - 1]:
-            hi -= 1
-        return lo, hi
-
-    def units(self, lo: int, hi: int) -> list[tuple[int, int]]:
-        base = min((self.indent[i] for i in range(lo, hi) if not self.blank[i] and not self.closer[i]), default=0)
-        at = [lo]
-        for i in range(lo + 1, hi):
-            plain = not self.blank[i] and not self.closer[i] and self.indent[i] == base
-            if plain and (self.blank[i - 1] or (self.closer[i - 1] and self.indent[i - 1] <= base)):
-                at.append(i)
-        spans = [self.trimmed(a, b) for a, b in zip(at, [*at[1:], hi])]
-        return [s for s in spans if s[0] < s[1]]
+        n = len(lines)
+        depth, needs = np.full(n + 1, _NEVER), np.full(n + 1, _NEVER)
+        written = np.zeros(n, dtype=bool)
+        above = _NEVER
+        for i, line in enumerate(lines):
+            body = line.lstrip()
+            needs[i] = above
+            if not body:
+                above = -1
+                continue
+            written[i] = True
+            margin = line[: len(line) - len(body)]
+            width = len(margin) + 3 * margin.count("\t")
+            closes = body[0] in "})]" or (body[0] == "e" and body.rstrip() == "end")
+            above = width if closes else _NEVER
+            if not closes:
+                depth[i] = width
+        at = np.where(written, np.arange(n), n)
+        self.depth, self.needs = depth[:n], needs[:n]
+        self.next = np.minimum.accumulate(at[::-1])[::-1] if n else at
+        self.last = np.maximum.accumulate(np.where(written, np.arange(n), -1)) if n else at
+
+    def blocks(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the blocks in lines lo..hi-1, without blank edges."""
+        depth = self.depth[lo:hi]
+        base = depth.min()
+        opens = (depth == base) & (self.needs[lo:hi] <= base) if base < _NEVER else np.zeros(hi - lo, dtype=bool)
+        opens[0] = True
+        at = lo + np.flatnonzero(opens)
+        starts, ends = self.next[at], self.last[np.append(at[1:], hi) - 1] + 1
+        kept = starts < ends
+        return starts[kept], ends[kept]
 
 
 def _windows(lo: int, hi: int) -> list[tuple[int, int]]:
     if hi - lo <= MAX_LINES:
         return [(lo, hi)]
-    starts = range(lo, max(lo, hi - WINDOW) + STRIDE, STRIDE)
-    return [(s, min(s + WINDOW, hi)) for s in starts]
+    return [(s, min(s + WINDOW, hi)) for s in range(lo, hi - WINDOW + STRIDE, STRIDE)]
 
 
-def spans(lines: list[str]) -> list[tuple[int, int]]:
-    """Chunks of ``lines`` as (first, last) line numbers from 1, both included."""
-    shape = _Shape(lines)
-
-    def cut(lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
-        lo, hi = shape.trimmed(lo, hi)
-        if lo >= hi:
-            return []
-        units = shape.units(lo, hi)
-        if len(units) <= 1:
-            return _windows(lo, hi)
-        done: list[tuple[int, int]] = []
-        open_: tuple[int, int] | None = None
-        for a, b in units:
-            if b - a > MAX_LINES and depth < MAX_DEPTH:
-                if open_:
-                    done.append(open_)
-                    open_ = None
-                inner = cut(a + 1, b, depth + 1) or [(a, b)]
-                done += [(a, inner[0][1]), *inner[1:]]
-                continue
-            open_ = (open_[0] if open_ else a, b)
-            if open_[1] - open_[0] >= MIN_LINES:
-                done.append(open_)
-                open_ = None
-        if open_:
-            short = open_[1] - open_[0] < MIN_LINES // 2
-            if short and done and done[-1][1] <= open_[0] and done[-1][1] - done[-1][0] < MAX_LINES:
-                done[-1] = (done[-1][0], open_[1])
+def _cut(layout: Layout, lo: int, hi: int, level: int) -> list[tuple[int, int]]:
+    starts, ends = layout.blocks(lo, hi)
+    if len(starts) == 0:
+        return []
+    if len(starts) == 1:
+        return _windows(int(starts[0]), int(ends[0]))
+    large = np.flatnonzero(ends - starts > MAX_LINES) if level < MAX_DEPTH else np.empty(0, dtype=int)
+    out: list[tuple[int, int]] = []
+    for k, stop in zip(np.append(-1, large), np.append(large, len(starts))):
+        if k >= 0:  # a large block, then the small ones up to the next
+            inner = _cut(layout, int(starts[k]) + 1, int(ends[k]), level + 1) or [(0, int(ends[k]))]
+            out += [(int(starts[k]), inner[0][1]), *inner[1:]]
+        k += 1
+        while k < stop:
+            full = k + int(np.searchsorted(ends[k:stop], starts[k] + MIN_LINES))
+            chunk = int(starts[k]), int(ends[min(full, stop - 1)])
+            short = full >= len(starts) and chunk[1] - chunk[0] < MIN_LINES // 2
+            if short and out and out[-1][1] <= chunk[0] and out[-1][1] - out[-1][0] < MAX_LINES:
+                out[-1] = out[-1][0], chunk[1]
             else:
-                done.append(open_)
-        return done
+                out.append(chunk)
+            k = full + 1
+    return out
+
 
-    return [(a + 1, b) for a, b in cut(0, len(lines), 0)]
+def spans(lines: list[str]) -> list[tuple[int, int]]:
+    """Chunks of ``lines`` as (first, last) line numbers from 1, both included."""
+    return [(a + 1, b) for a, b in _cut(Layout(lines), 0, len(lines), 0)] if lines else []
 
 
 def chunk_spans(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -106,4 +118,4 @@ def chunk_spans(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             out = [(k, i, a, b) for k, t in zip(pdf[key], pdf[text]) if isinstance(t, str) for i, (a, b) in enumerate(spans(text_lines(t)))]
             yield pd.DataFrame(out, columns=[key, "ord", "start_line", "end_line"])
 
-    return docs.where(f"{key} is not null").select(key, text).mapInPandas(run, schema)
+    return spread(docs.where(f"{key} is not null and {text} is not null").select(key, text)).mapInPandas(run, schema)

@@ -85,13 +85,17 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: st
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: str, most: int, salts: int = 16) -> DataFrame:
     """The first ``n`` rows (a column) of each group in ``order``, with ``rank``.
 
-    ``most`` bounds ``n``. Each salted part of a group first keeps its own
-    ``most`` rows, so the final sort of a group sees at most ``most * salts``.
-    Null or non-positive ``n`` keeps nothing.
+    ``most`` bounds ``n``. Every task keeps at most ``most`` rows of a group before
+    rows are shuffled (a group limit below the window), so the sort of a hot group
+    sees no more than that from each task. Where ``most`` is too large for Spark's
+    group limit, salted parts of a group are cut first. Null or non-positive
+    ``n`` keeps nothing.
     """
     if most <= 0:
         return df.withColumn("rank", F.lit(1)).where(F.lit(False))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in group and df.schema[c].dataType.typeName() != "map"]), F.lit(salts)))
-    part = Window.partitionBy(*group, "_salt").orderBy(*order)
-    kept = salted.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= most).drop("_r", "_salt")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= F.col(n))
+    if most > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in group and df.schema[c].dataType.typeName() != "map"]), F.lit(salts)))
+        part = Window.partitionBy(*group, "_salt").orderBy(*order)
+        df = salted.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= most).drop("_r", "_salt")
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return ranked.where((F.col("rank") <= most) & (F.col("rank") <= F.col(n)))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import plain_words
 from siftwell.operators import rank
-from siftwell.operators.classify import admits
 from siftwell.plans.files import CHUNKS, FILES, live_chunks, live_files
 from siftwell.sources import table
 
@@ -34,10 +33,11 @@ def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.bm25(plain_terms(_queries(spark, sf_dir)), _chunk_postings(spark, sf_dir), live_chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc"), "length"))
 
 
-def _admitted(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
-    f, q = live_files(spark, sf_dir).select("file_id", "kind", "path"), _queries(spark, sf_dir).select("query_id", "content", "path_filter")
-    j = scores.join(live_chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc"), "file_id"), "doc").join(f, "file_id").join(q, "query_id")
-    return j.where(admits(F.col("content"), F.col("kind")) & (F.col("path_filter").isNull() | F.col("path").contains(F.col("path_filter")))).select("query_id", "doc", "score")
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`_lexical`, of the chunks that a question admits."""
+    q = _queries(spark, sf_dir)
+    chunks = live_chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc"), "file_id", "length").join(live_files(spark, sf_dir).select("file_id", "kind", "path"), "file_id")
+    return rank.bm25(plain_terms(q).join(q.select("query_id", "content", "path_filter"), "query_id"), _chunk_postings(spark, sf_dir), chunks, rank.admits_file())
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.channel(_admitted(spark, sf_dir, _lexical(spark, sf_dir))).withColumnRenamed("doc", "chunk_id")
+    return rank.channel(_admitted(spark, sf_dir)).withColumnRenamed("doc", "chunk_id")
 
 
 def file_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c, f = _queries(spark, sf_dir), live_chunks(spark, sf_dir), live_files(spark, sf_dir)
-    lexical = _lexical(spark, sf_dir)
-    return rank.boosted(rank.fuse((rank.channel(_admitted(spark, sf_dir, lexical)), 1.0)), rank.name_matches(q, c), q, c, f, lexical)
+    lexical = _admitted(spark, sf_dir)
+    return rank.boosted(rank.fuse((rank.channel(lexical), 1.0)), rank.name_matches(q, c), q, c, f, lexical)
 
 
 def name_boost(spark: SparkSession, sf_dir: str) -> DataFrame:

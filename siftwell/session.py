@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -25,6 +27,7 @@ def session(app: str = "siftwell", cores: str = "*", shuffle_partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in conf.items():
@@ -60,6 +63,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session runs tasks at once.
+
+    For work in Python on rows that lie in a few large files: only layouts of
+    fewer partitions than that are shuffled, the rows stay the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
@@ -70,3 +82,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_all(**frames: DataFrame) -> list[DataFrame]:
+    """:func:`materialise` of several frames at once, by label: independent jobs
+    run side by side and fill the slots that small stages leave idle."""
+    spark = next(iter(frames.values())).sparkSession
+    with ThreadPoolExecutor(len(frames)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(materialise), df, label) for label, df in frames.items()]
+        return [j.result() for j in jobs]

@@ -1,6 +1,9 @@
 import random
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from siftwell.operators.chunker import chunk_spans, spans, text_lines
 from siftwell.operators.declare import chunk_declarations, declarations, declared_name, names_in
@@ -49,6 +52,9 @@ def test_chunk_spans_of_odd_texts(spark):
         ("    public function total(): int {", None, "total"), ("async def load(x):", None, "load"), ("static int total(struct cart *c) {", None, "total"),
         ("static int total(struct cart *c)", "{", "total"), ("if (x) {", None, None), ("    const local = 3;", None, None), ("const handler = (x) => {", None, "handler"),
         ("    MAX_SIZE = 3,", None, "MAX_SIZE"), ("// fn nothing() {", None, None), ("return open(x) {", None, None), ("    render() {", None, "render"), ("main() {", None, None),
+        ("pub(crate) fn open(self) {", None, "open"), ('extern "C" fn total(x: i32) {', None, "total"), ("impl<T> Cart<T> {", None, "Cart"), ("macro_rules! carts {", None, "carts"), ("export const useCart = (k: string) => {", None, "useCart"), ("const v$ = useIt(a, b)", None, "v$"),
+        ("describe('cart', () => {", None, None), ("    CART_OPEN,  /* no more */", None, "CART_OPEN"), ("    CARTS = of(a, b)", None, None), ("    OK", None, None), ("____ = 1", None, None), ("LIMIT = 3  # (a note)", None, "LIMIT"), ("} else if (ready(x)) {", None, None),
+        ("  async onOpen({ cart }): Promise<void> {", None, "onOpen"), ("        $f = function () use ($u) {", None, None), ("template<T> struct_of(int x) {", None, "struct_of"), ("open_cart(ctx_t *c, int n)", "{", "open_cart"), ("class {", None, None), ("", None, None), ("   ", "{", None),
         ("interface Cart {", None, "Cart"), ("type Cart struct {", None, None), ("type Cart = Box;", None, "Cart"), ("int total(int x);", None, None),
     ],
 )
@@ -58,7 +64,7 @@ def test_declared_names(line, following, name):
 
 def test_names_by_syntax():
     sheet = [":root {", "  --gap: 2px;", "}", ".card {", "  &__title {", "    color: red;", "  }", "}", "@keyframes spin {", "  from {", "  }", "}"]
-    assert names_in("a.scss", sheet) == [("--gap", 2), ("card", 4), ("card__title", 5), ("spin", 9)]
+    assert names_in("a.scss", sheet) == [("root", 1), ("--gap", 2), ("card", 4), ("card__title", 5), ("spin", 9)]
     assert names_in("a.vue", ["<script>", "function go() {", "}", "</script>", "<style>", ".box {", "}", "</style>"]) == [("go", 2), ("box", 6)]
     assert names_in("a.html", ['<main id="top">', '{{ define "page" }}']) == [("top", 1), ("page", 2)]
     assert names_in("a.md", ["# One #", "```", "# not", "```", "#no", "## Two"]) == [("One", 1), ("Two", 6)]
@@ -67,6 +73,70 @@ def test_names_by_syntax():
     assert len(names_in("a.md", ["# x"] * 200)) == 96
 
 
+def test_rules_pages_and_components():
+    sheet = ["$gap: 8px;", "  $inner: 1px;", "@mixin cut($n) {", "}", ".box {", "  &__top {", "    font: {", "    }", "    &--on {", "    }", "  }", "  &:hover {", "    .box__icon, .b {", "    }", "  }", "  @media (x) {", "    &__body {", "    }", "  }", "}", ".chip { padding: 0 8px; }", "*:focus {", "}", "#head > nav {", "/* .no { */", "a: b; .c {"]
+    assert names_in("a.scss", sheet) == [("$gap", 1), ("cut", 3), ("box", 5), ("box__top", 6), ("box__top--on", 9), ("box__icon", 13), ("box__body", 17), ("chip", 21), ("*", 22), ("head", 24)]
+    assert names_in("a.vue", ["<template>", '<p id="x">', "</template>", "<script>", "const open = ref(1)", "</script>"]) == [("open", 5)]
+    assert names_in("a.html", ["<script>", "function boot() {", "</script>", "{% block content %}", '<a id="1x">']) == [("boot", 2), ("content", 4)]
+    assert names_in("a.md", [" # in", "####### seven", "#\ttab ##", "# "]) == [("tab", 3)]
+
+
+def test_long_lines_cost_their_length_only():
+    for line in ("a" * 10**6 + " {", "f" * 10**6 + "(x) {", "int " * 200_000 + "f(int x) {", "<" * 10**5 + ">" * 10**5 + "f(x) {", "A_" * 10**5, "static " * 10**5 + "x", "pub(" * 10**5):
+        began = time.perf_counter()
+        declared_name(line)
+        assert time.perf_counter() - began < 1
+
+
+def brute_spans(lines):
+    """The survey's rules, line by line."""
+    blank = [not x.strip() for x in lines]
+    closer = [bool(x.strip()) and (x.strip()[0] in "})]" or x.strip() == "end") for x in lines]
+    width = [sum(4 if c == "\t" else 1 for c in x[: len(x) - len(x.lstrip())]) for x in lines]
+
+    def trim(a, b):
+        rows = [i for i in range(a, b) if not blank[i]]
+        return (rows[0], rows[-1] + 1) if rows else (a, a)
+
+    def cut(a, b, level):
+        a, b = trim(a, b)
+        if a >= b:
+            return []
+        base = min([width[i] for i in range(a, b) if not blank[i] and not closer[i]], default=0)
+        opens = [a] + [i for i in range(a + 1, b) if not blank[i] and not closer[i] and width[i] == base and (blank[i - 1] or (closer[i - 1] and width[i - 1] <= base))]
+        units = [u for u in (trim(x, y) for x, y in zip(opens, opens[1:] + [b])) if u[0] < u[1]]
+        if len(units) == 1:
+            return [(a, b)] if b - a <= 80 else [(s, min(s + 60, b)) for s in range(a, b, 50) if s == a or s + 10 < b]
+        out, small = [], []
+        for u in [*units, None]:
+            big = u is not None and u[1] - u[0] > 80 and level < 4
+            if (u is None or big) and small:
+                tail = (small[0][0], small[-1][1])
+                if u is None and tail[1] - tail[0] < 6 and out and out[-1][1] <= tail[0] and out[-1][1] - out[-1][0] < 80:
+                    out[-1] = (out[-1][0], tail[1])
+                else:
+                    out.append(tail)
+                small = []
+            if big:
+                inner = cut(u[0] + 1, u[1], level + 1)
+                out += [(u[0], inner[0][1]), *inner[1:]] if inner else [u]
+            elif u is not None:
+                small.append(u)
+                if u[1] - small[0][0] >= 12:
+                    out.append((small[0][0], u[1]))
+                    small = []
+        return out
+
+    return [(a + 1, b) for a, b in cut(0, len(lines), 0)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 0, 2, 4, 8]), st.sampled_from(["x", "x = 1", "}", "", "", "def f():", "end", "\ty"])), max_size=260))
+def test_chunks_equal_brute_force(parts):
+    lines = [" " * n + x for n, x in parts]
+    assert spans(lines) == brute_spans(lines)
+
+
 def test_names_are_counted_and_limited_in_each_chunk(spark):
     body = ["    x += 1"] * 12
     twice = "\n".join(["def init():", *body, "", "def init():", *body])
