@@ -10,6 +10,11 @@ needs_vocabulary = pytest.mark.skipif(not os.path.exists(bpe.vocabulary_path()),
 ODD = ["", " ", "  \n\t", "a", "don't I'LL they've  x", "\x1c\x1d a\x85b", "½5 ٣٤ 1² x", "é̂́ 👩‍🌾 мир naïve café", "﻿bom\r\n\r\n  end ", "<|endoftext|>", "x" * 3000, "0123456789abcdef" * 200, "　全角　ｆｕｌｌ", "\x00\x01", "a_b__c -- ::", "'s 't's ''ll"]
 
 
+def why(text, kind):
+    found = A.text_reason(text, kind)
+    return found and found[0]
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return bpe.Encoder(bpe.read_vocabulary(bpe.vocabulary_path()))
@@ -101,24 +106,57 @@ def test_split_between_blocks(spark, rows):
     ],
 )
 def test_reasons_of_texts(text, kind, reason):
-    assert A.text_reason(text, kind) == reason
+    assert why(text, kind) == reason
 
 
 def test_the_whole_comment_runs_tell():
     licence, code = "// Licence terms apply.\n" * 40, "int a;\nlong total(cart *c) {\n  return c->n + 1;\n}\nvoid close(void);\n"
-    assert A.text_reason(licence + "// Code generated by x. DO NOT EDIT.\n" + code, "Code") == "generated"
-    assert A.text_reason(licence + code, "Code") is None and A.text_reason(licence + "//\n// vendored from upstream\n" + code, "Code") == "third_party"
+    assert why(licence + "// Code generated by x. DO NOT EDIT.\n" + code, "Code") == "generated"
+    assert why(licence + code, "Code") is None and why(licence + "//\n// vendored from upstream\n" + code, "Code") == "third_party"
     end = "// end of the output of x\n"
-    assert A.text_reason(code + end + "\n" * 9, "Code") == "generated"
-    assert A.text_reason(code + end + "// more\n" * 9, "Code") == "generated"
-    assert A.text_reason(code + end + "}\n\n\n}\n", "Code") == "generated"
-    assert A.text_reason(code + end + code, "Code") is None
+    assert why(code + end + "\n" * 9, "Code") == "generated"
+    assert why(code + end + "// more\n" * 9, "Code") == "generated"
+    assert why(code + end + "}\n\n\n}\n", "Code") == "generated"
+    assert why(code + end + code, "Code") is None
+
+
+@pytest.mark.parametrize(
+    "text,reason",
+    [
+        ("\n".join(f'const a{i} = f(b{i}, "x{i}");' for i in range(40)), None),  # a run of like statements may be written by hand
+        ("// Licence\n" * 20 + "\n".join(f"set(a{i}, b{i});" for i in range(9)), None),
+        ("\n".join(f"def get_{i}(self):\n    return self.a{i}\n" for i in range(12)), "generated"),
+        ("\n".join(f"def get_{i}(self):\n    return self.a{i}\n" for i in range(12)) + "\nx = 1\n", None),
+        ("\n".join(f"def get_{i}(self):  \n    return self.a{i}\n" for i in range(12)), None),
+        ("x=[" + ",".join(str(7 * i) for i in range(900)) + "]", "data"), ("[" + ",".join(f'"w{i}"' for i in range(600)) + "]", "data"),
+        ("<ul>" + "".join(f"<li class=a{i}>word word word word</li>" for i in range(200)) + "</ul>", "minified"),
+        ("a=1;" * 60 + "b(a)", "minified"), ("if (a) { b(); c(); d(); e(); f(); }", None), ("let s: &'a str = f(x); let t: &'b str = g(y);\n" * 3, None),
+        ("x = 'don\\'t' // it's\ny = 1", None), ("/* open", None), ("key = " + "value " * 300, None), ("LIMIT = 5", None),
+    ],
+)
+def test_reasons_of_layouts(text, reason):
+    assert A.layout_reason(text, "Code") == reason
+
+
+def test_canonical_layout():
+    assert A.canonical("  if (a) { b(); }  ") == ["if (a) { b(); }"] and A.canonical("  ") == []
+    wide = "f(" + ", ".join(f"argument_{i}" for i in range(20)) + ");g(1);"
+    assert A.canonical(wide) == ["f(", *[f"  argument_{i}," for i in range(19)], "  argument_19", ");", "g(1);"]
+    assert A.canonical(".a{b:c}" * 30) == [".a{b:c}"] * 30
+    for text in ("((((" * 300, "))))" * 300, "{" * 500 + "}" * 500, '"' * 999, "a" * 5000):
+        assert "".join("".join(A.canonical(text)).split()) == text
+    code, chars, count, longest = A.lexed("a = 'x // y' // it's \"one\"\nb = \"/* no */\" /* 'c' */\n")
+    assert code.split("\n")[0].strip() == 'a = "ssssss"' and (chars, count, longest) == (18, 2, 10)
+
+
+def test_stamped_blocks():
+    assert A.stamped(list("abab" * 3)) and not A.stamped(list("a" * 40)) and not A.stamped(list("abababa")) and not A.stamped(list("abab")) and not A.stamped([])
 
 
 def test_artefacts(spark, rows):
     files = spark.createDataFrame([(1, "vendor/a.c", "Code"), (1, "vendor/a.c", "Code"), (2, "src/vendor_portal/a.c", "Code"), (3, "x/Cargo.lock", None), (4, "src/a.c", "Code"), (5, None, None), (None, "vendor/b.c", "Code"), (6, "web\\assets\\lib-1.2.3-x.css", "Code"), (7, "api/a.pb.go", "Code"), (8, "s/a.js.map", None)], "file_id long, path string, kind string")
     texts = spark.createDataFrame([(4, "// @generated\n", "Code"), (4, "int a;", "Code"), (99, "// @generated\n", "Code"), (None, "// @generated\n", "Code"), (2, None, None), (5, "", None)], "file_id long, text string, kind string")
-    assert rows(A.artefacts(files, texts)) == [(1, "third_party"), (3, "locked"), (4, "generated"), (6, "third_party"), (7, "generated"), (8, "locked")]
+    assert rows(A.artefacts(files, texts)) == [(1, "third_party", "path"), (3, "locked", "path"), (4, "generated", "comment"), (6, "third_party", "path"), (7, "generated", "path"), (8, "locked", "path")]
     assert A.artefacts(files.limit(0), texts).count() == 0
 
 
