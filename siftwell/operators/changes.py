@@ -23,42 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.paths import normal_path
+from siftwell.operators.manifest import Folder
 
 _PLAN = "walk_id long, checkout_id long, place int, before long, mark string, before_mark string"
 _SINK = "walk_id long, place int, path string, record_id long, change string"
 
 
-class Folder:
-    """The few file-system operations the log needs, on any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.jvm = spark.sparkContext._jvm
-        self.root = root.rstrip("/")
-        path = self.jvm.org.apache.hadoop.fs.Path(self.root)
-        self.fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, *parts: object) -> str:
-        return "/".join([self.root, *map(str, parts)])
-
-    def _at(self, *parts: object):
-        return self.jvm.org.apache.hadoop.fs.Path(self.path(*parts))
-
-    def names(self, *parts: object) -> list[str]:
-        at = self._at(*parts)
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
-
-    def move(self, source: tuple, target: tuple) -> None:
-        self.fs.mkdirs(self._at(*target[:-1]))
-        if not self.fs.rename(self._at(*source), self._at(*target)):
-            raise OSError(f"cannot rename {self.path(*source)}")
-
-    def drop(self, *parts: object) -> None:
-        self.fs.delete(self._at(*parts), True)
-
-    def mark(self, *parts: object) -> None:
-        self.fs.create(self._at(*parts), True).close()
-
-
 def content_changed(now: Column, then: Column) -> Column:
     """Whether two versions (structs with ``hash`` and ``stamp``) differ: by hash;
     where either is null by the whole stamp; where that lacks its time on either
