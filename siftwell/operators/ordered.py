@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from siftwell.session import materialise
 
 _HOW = {"sum": F.sum, "max": F.max}
+HOT_SHARE = 10_000
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, out: str, how: str = "sum") -> DataFrame:
@@ -82,6 +83,23 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: st
     return kept.join(F.broadcast(c), on, "left").select(*[c for c in df.columns if c != out], total.cast(kind).alias(out))
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: Sequence[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row per key and in ``count`` how
+    many of the ``total`` rows have it. Null keys join each other.
+
+    A key with a ten-thousandth of all rows or more is hot; by arithmetic there are
+    at most 10,000 of them, which bounds their broadcast. All other keys are
+    shuffled, none with more than that share. ``rows`` is read twice, so it should
+    lie in files."""
+    right = keyed.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in keyed.columns if c not in on])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)])
+    hot = right.where(F.col(count) * HOT_SHARE >= total)
+    keys = F.broadcast(hot.select(*[f"_on{i}" for i in range(len(on))]))
+    of_hot = rows.join(F.broadcast(hot), same)
+    of_rest = rows.join(keys, same, "left_anti").join(right.where(F.col(count) * HOT_SHARE < total), same)
+    return of_hot.unionByName(of_rest).drop(*[f"_on{i}" for i in range(len(on))])
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: str, most: int, salts: int = 16) -> DataFrame:
     """The first ``n`` rows (a column) of each group in ``order``, with ``rank``.
 

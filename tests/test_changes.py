@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -105,6 +106,48 @@ def test_only_new_walks_are_planned(log, spark):
     assert ids(capture) == {12, 13}
 
 
+def test_a_run_reads_only_the_new_walk_and_the_one_before(spark, tmp_path):
+    """One file per walk; files of walks that no longer matter are spoilt."""
+    walks, path = [walk(i) for i in range(1, 6)], f"{tmp_path}/log with space"
+    records = [record(10 * w + i, w, f"p{i}", f"h{i}{w if i == 1 else ''}") for w in range(1, 6) for i in range(3)]
+    capture = ChangeCapture(spark, f"file://{tmp_path}/state")
+
+    def store(n):
+        spark.createDataFrame([x for x in records if x[1] == n], RECORDS).coalesce(1).write.mode("append").parquet(path)
+        return spark.read.schema(RECORDS).parquet(path)
+
+    store(1)
+    log_, at = store(2), lambda n: spark.createDataFrame(walks[:n], WALKS)
+    assert capture.run(at(2), log_) == [1] and ids(capture) == {21}
+    first = [f for f in os.listdir(path) if f.endswith(".parquet") and spark.read.parquet(f"{path}/{f}").first().walk_id == 1]
+    log_ = store(3)
+    with open(f"{path}/{first[0]}", "wb") as f:
+        f.write(b"spoilt")
+    assert capture.run(at(3), log_) == [2] and ids(capture) == {21, 31}
+    late = [record(90, 3, "p9", "h9")]  # changes walk 3 and what follows it
+    records += late
+    spark.createDataFrame(late, RECORDS).coalesce(1).write.mode("append").parquet(path)
+    assert capture.run(at(4), store(4)) == [3] and ids(capture) == {21, 31, 90, 41}
+    before = sorted(map(tuple, capture.result().collect()))
+    capture.compact()
+    capture.sweep()
+    assert sorted(map(tuple, capture.result().collect())) == before and capture.folder.names("sink") == list(capture.manifest.live())
+    assert capture.run(at(4), spark.read.schema(RECORDS).parquet(path)) == []
+    assert capture.run(at(5), store(5)) == [4] and ids(capture) == {21, 31, 90, 41, 51}
+
+
+def test_many_batches_are_merged(log, spark, monkeypatch):
+    monkeypatch.setattr("siftwell.operators.changes.MAX_SEGMENTS", 2)
+    walks, records = some_log(6)
+    records = [(*x[:1], 1 + k % 8, *x[2:]) for k, x in enumerate(records)]
+    capture, w, r = log(walks[:1], records)
+    for n in range(1, 4):
+        capture.run(spark.createDataFrame([walk(i) for i in range(1, n + 2)], WALKS), r)
+    assert len(capture.manifest.live()) <= 2
+    capture.compact()
+    assert len(capture.manifest.live()) == 1 and ids(capture) == expected([walk(i) for i in range(1, 5)], records)
+
+
 def test_empty_tables(log):
     capture, w, r = log([], [])
     assert capture.run(w, r) == [] and ids(capture) == set()

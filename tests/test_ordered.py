@@ -30,3 +30,14 @@ def test_top_per_group_keeps_ties_by_order_and_ignores_bad_sizes(spark, rows):
     out = top_per_group(df, ["g"], [F.desc("s"), F.asc("i")], "n", 2)
     assert rows(out.select("g", "i", "rank")) == [(1, 2, 1), (1, 5, 2)]
     assert top_per_group(df, ["g"], [F.asc("i")], "n", 0).count() == 0
+
+
+def test_join_counted(spark, rows):
+    from siftwell.operators.ordered import join_counted
+
+    left = spark.createDataFrame([("a", i) for i in range(30_000)] + [("b", -1), (None, -2), ("z", -3)], "k string, i int")
+    right = spark.createDataFrame([("a", 30_000, 1), ("b", 1, 2), (None, 1, 3), ("c", 0, 4)], "k string, n long, v int")
+    out = join_counted(left, right, ["k"], "n", 30_003)
+    assert out.count() == 30_002 and sorted(out.columns) == ["i", "k", "n", "v"]
+    assert rows(out.where("i < 0").select("k", "v")) == [("b", 2), (None, 3)] and out.where("k = 'a' and v = 1").count() == 30_000
+    assert join_counted(left.limit(0), right, ["k"], "n", 0).count() == 0
