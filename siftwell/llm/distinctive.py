@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.operators.ordered import running, top_per_group
+from siftwell.operators.ordered import join_counted, running, top_per_group
+from siftwell.session import materialise
 
 
 def _correction(x: np.ndarray) -> np.ndarray:
@@ -115,24 +116,27 @@ def distinctiveness(counts: DataFrame, records: DataFrame | None = None) -> Data
     scored. ``raw`` is -ln P(X >= k), ``score`` the same after the adjustment of
     Benjamini and Hochberg over all scored rows of the field: ln m - ln rank is
     taken off, and kept monotone. Both are rounded to 9 digits. An empty table
-    gives no rows.
+    gives no rows. Counts, totals and raw scores are written once, since several
+    stages read them; terms that very many records hold are joined apart.
     """
-    totals = counts.groupBy("field", "term").agg(F.sum("k").alias("total"))
+    counts = materialise(counts, "counts")
+    totals = materialise(counts.groupBy("field", "term").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("held")), "totals")
     grand = totals.groupBy("field").agg(F.sum("total").alias("all"))
     if records is None:
         own = counts
     else:
         r = records.select("field", F.col("record").cast("long").alias("record")).distinct()
-        own = counts.join(r, ["field", "record"], "left_semi")
+        own = materialise(counts.join(r, ["field", "record"], "left_semi"), "own")
     sizes = own.groupBy("field", "record").agg(F.sum("k").alias("n"))
-    rows = own.join(sizes, ["field", "record"]).join(totals, ["field", "term"]).join(grand, "field")
+    named = join_counted(own, totals, ["field", "term"], "held", counts.count())
+    rows = named.join(sizes, ["field", "record"]).join(grand, "field")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = -log_upper_tail(pdf["k"].to_numpy(), pdf["n"].to_numpy(), pdf["total"].to_numpy(), pdf["all"].to_numpy())
             yield pdf[["field", "record", "term", "k", "total"]].assign(raw=np.round(raw, 9) + 0.0)
 
-    scored = rows.mapInPandas(score, "field string, record long, term string, k long, total long, raw double").withColumn("one", F.lit(1).cast("long"))
+    scored = materialise(rows.mapInPandas(score, "field string, record long, term string, k long, total long, raw double").withColumn("one", F.lit(1).cast("long")), "scored")
     order = [F.col("record"), F.col("term")]
     ranked = running(scored, ["field"], [F.desc("raw"), *order], "one", "place")
     tests = ranked.groupBy("field").agg(F.count(F.lit(1)).alias("m"))

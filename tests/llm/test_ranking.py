@@ -4,6 +4,7 @@ from fractions import Fraction
 from math import comb
 
 import numpy as np
+import pytest
 
 from siftwell.llm import distinctive as D
 from siftwell.llm.leximin import leximin_top
@@ -38,12 +39,15 @@ def plain(rows, sizes):
     return out
 
 
-def test_leximin_equals_brute_force_with_a_hot_group(spark):
+@pytest.mark.parametrize("hot", [1, 300, 10**6])
+def test_leximin_equals_brute_force_with_a_hot_group(spark, monkeypatch, hot):
+    monkeypatch.setattr("siftwell.llm.leximin.HOT_ROWS", hot)
     rng = random.Random(5)
     value = lambda: rng.choice([None, math.nan, 1e9, -5.0, rng.random(), rng.random()])
     rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(120), value(), value(), rng.choice([None, True, False])) for _ in range(900)]
     rows += rows[:200]
     sizes = [(1, 9), (2, 4), (3, None), (7, 5)]
+    rows += [(None, c, 0.5, None, None) for c in range(3)]
     df = spark.createDataFrame([(*r, "x", 1, 1.0, 1, 1) for r in rows], HITS)
     got = {(r.q, r.c) for r in leximin_top(df, spark.createDataFrame([(*s, 0) for s in sizes], SIZES), "q", "c", ["a", "b", "flag"], "n").collect()}
     assert got == plain(rows, sizes)
