@@ -1,107 +1,112 @@
-"""python -m siftwell COMMAND ROOT ...: search, usages, grep, outline over a tree."""
+"""python -m siftwell COMMAND ...: search, usages, grep, outline, index, eval, serve, access, cache."""
 
 from __future__ import annotations
 
 import argparse
-import json
+import sys
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions import analyze
-from siftwell.functions.text import whole_word
-from siftwell.operators import chunker, declare, lookup, outline, rank, store
-from siftwell.operators.classify import mostly_imports
-from siftwell.session import materialise, session
-from siftwell.sources import tree
-
-# The four tools, their arguments, defaults and limits.
-TOOLS = {
-    "search": {"query": "string", "content": "code|docs|config|all, all", "path": "string, none", "limit": "1..30, 8"},
-    "usages": {"symbol": "string", "path": "string, none", "limit": "1..200, 40"},
-    "grep": {"pattern": "string", "path": "string, none", "limit": "1..200, 40"},
-    "outline": {"path": "string, the root"},
-}
-
-
-class Corpus:
-    """Index tables of one tree: files, texts, chunks, declarations, postings."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        tree.register(spark)
-        read = materialise(spark.read.format("tree").option("path", root).load(), "tree")
-        self.texts = store.dense_ids(read.where("indexed"), ["path"], "file_id")
-        self.texts = materialise(self.texts, "texts")
-        spans = store.dense_ids(chunker.chunk_spans(self.texts, "file_id"), ["file_id", "ord"], "chunk_id")
-        spans = materialise(spans, "spans")
-        declared = materialise(declare.chunk_declarations(self.texts, "file_id"), "declarations")
-        self.declarations = declared.select("file_id", "name", "line").distinct()
-        named = spans.join(declared, ["file_id", "ord"]).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("n"))
-        body = spans.join(self.texts.select("file_id", "path", "text"), "file_id")
-        body = body.select("chunk_id", "file_id", "start_line", "end_line", "path", F.array_join(F.slice(F.split("text", "\r?\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("text"))
-        terms = analyze.index_terms(body, "chunk_id")
-        names = analyze.index_terms(named.select("chunk_id", F.explode("n").alias("x")).select("chunk_id", F.col("x.name").alias("name")), "chunk_id", "name").groupBy("chunk_id", "term").agg(F.sum("tf").alias("n"))
-        tail = analyze.index_terms(body.select("chunk_id", F.array_join(F.slice(F.split("path", "/"), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1)), 2), "/").alias("tail")), "chunk_id", "tail")
-        paths = tail.select("chunk_id", "term", F.lit(1).alias("n"))
-        self.chunk_postings = materialise(store.built_postings(terms.select("chunk_id", "term", F.col("tf").alias("n")), names, paths).withColumnRenamed("chunk_id", "doc"), "postings")
-        lengths = terms.groupBy("chunk_id").agg(F.sum("tf").cast("double").alias("length"))
-        imports = mostly_imports(body, "chunk_id").select("chunk_id", "imports")
-        tidy = F.transform("n", lambda x: F.struct(x["name"].alias("name"), x["line"].alias("line")))
-        self.chunks = materialise(spans.select("chunk_id", "file_id", "start_line", "end_line").join(lengths, "chunk_id", "left").join(imports, "chunk_id", "left").join(named.select("chunk_id", tidy.alias("names")), "chunk_id", "left").fillna({"length": 0.0, "imports": False}), "chunks")
-        owner = self.chunks.select(F.col("chunk_id").alias("doc"), "file_id")
-        self.file_postings = self.chunk_postings.join(owner, "doc").groupBy("term", F.col("file_id").alias("doc")).agg(F.sum("weight").alias("weight"))
-        sizes = self.chunks.groupBy("file_id").agg(F.sum("length").alias("length"))
-        self.files = self.texts.select("file_id", "path", "kind").join(sizes, "file_id", "left").fillna({"length": 0.0})
-
-    def search(self, queries: DataFrame, limit: int = rank.LIMIT) -> DataFrame:
-        hits = rank.search(queries, analyze.query_terms(queries), self.chunk_postings, self.file_postings, self.chunks, self.files, limit)
-        return hits.join(self.files.select("file_id", "path"), "file_id").select("query_id", "rank", "path", "start_line", "end_line", "score", "coverage", "declares")
-
-    def usages(self, symbol: str, path: str | None = None) -> DataFrame:
-        files = self.files.where("kind <> 'Config'")
-        files = files.where(F.col("path").contains(path)) if path else files
-        texts = self.texts.where(F.col("text").contains(symbol)).join(files.select("file_id"), "file_id", "left_semi")
-        found = lookup.matching_lines(texts, whole_word(F.col("content"), symbol), "file_id")
-        return lookup.with_enclosing(found, self.declarations, symbol).join(files.select("file_id", "path", "kind"), "file_id")
-
-    def grep(self, pattern: str, path: str | None = None) -> DataFrame:
-        texts = self.texts.where(F.col("path").contains(path)) if path else self.texts
-        return lookup.grep(texts, pattern, "path")
-
-    def outline(self, path: str = "") -> DataFrame:
-        """Declarations of a file, or the entries of a folder."""
-        one = self.files.where(F.col("path") == path)
-        if path and not one.isEmpty():
-            return self.declarations.join(one.select("file_id"), "file_id", "left_semi").select("line", "name").orderBy("line")
-        prefix = path.strip("/") + "/" if path.strip("/") else ""
-        return outline.directory_rollup(self.files.withColumn("root_id", F.lit(0)), prefix).drop("root_id").orderBy("entry")
-
-
-def main() -> None:
-    p = argparse.ArgumentParser(prog="siftwell", description=__doc__, epilog=json.dumps(TOOLS))
-    p.add_argument("command", choices=sorted(TOOLS))
-    p.add_argument("root")
-    p.add_argument("what", nargs="?", default="")
-    p.add_argument("--path")
-    p.add_argument("--content", default="all")
-    p.add_argument("--limit", type=int)
-    a = p.parse_args()
-    if a.command != "outline" and not a.what.strip():
-        p.error("the question is empty")
-    corpus = Corpus(session(), a.root)
+from siftwell.front import answers, roots
+from siftwell.front.corpus import Corpus
+from siftwell.front.settings import Settings, prune
+from siftwell.front.tools import CONTENTS, Engine, serve
+from siftwell.operators import evaluate, lookup, rank
+from siftwell.operators.manifest import Folder
+from siftwell.session import session
+
+
+def _parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="siftwell", description=__doc__)
+    p.add_argument("--root", default=".", help="the tree to answer from")
+    p.add_argument("--stores", help="the folder of the indexes (by default that of the user)")
+    sub = p.add_subparsers(dest="command", required=True)
+    for name, what in (("search", "query"), ("usages", "symbol"), ("grep", "pattern"), ("outline", "path"), ("eval", "probes")):
+        c = sub.add_parser(name)
+        c.add_argument("what", metavar=what, nargs="?" if name == "outline" else None, default="")
+        c.add_argument("--path")
+        c.add_argument("--limit", type=int)
+        c.add_argument("--content", choices=CONTENTS, default="code")
+    for name in ("index", "serve"):
+        sub.add_parser(name)
+    a = sub.add_parser("access")
+    a.add_argument("what", choices=("add", "remove", "list", "forget"), nargs="?", default="list")
+    a.add_argument("folder", nargs="?")
+    c = sub.add_parser("cache")
+    c.add_argument("what", choices=("status", "clean", "clear", "auto"), nargs="?", default="status")
+    c.add_argument("days", nargs="?")
+    return p
+
+
+def _access(settings: Settings, root: Path, what: str, folder: str | None) -> str:
+    repo = roots.repository(root)
+    if what == "add":
+        settings.grant(repo, roots._checked(Path(folder or ".").resolve()))
+        settings.save()
+    elif what in ("remove", "forget"):
+        settings.revoke(repo, Path(folder).resolve() if what == "remove" and folder else None)
+        settings.save()
+    return "\n".join([f"Sessions in {repo} may also read:", *(f"  {d}{'' if d.is_dir() else '  (not on disk)'}" for d in settings.granted(repo))])
+
+
+def _cache(settings: Settings, stores: Folder, what: str, days: str | None) -> str:
+    if what == "auto" and days:
+        if days != "off" and not (days.isdigit() and int(days) > 0):
+            raise ValueError("a number of days, or off")
+        settings.days = None if days == "off" else int(days)
+        settings.save()
+    if what == "clean":
+        n, size = prune(stores, settings.days)
+        return f"removed {answers.counted(n, 'store')} ({size / (1 << 20):.1f} MB)"
+    if what == "clear":
+        return f"removed {sum(1 for x in stores.names() if stores.drop(x) is None)} stores"
+    size = sum(stores.age_and_size(x)[1] for x in stores.names())
+    return f"{stores.root}: {answers.counted(len(stores.names()), 'store')}, {size / (1 << 20):.1f} MB; " + (f"stores not used for {answers.counted(settings.days, 'day')} are removed" if settings.days else "only outdated stores are removed")
+
+
+def evaluated(corpus: Corpus, probes: str, limit: int, content: str = "code") -> str:
+    """Recall and mean reciprocal rank of a file of probes, by file and by lines."""
+    p = evaluate.read_probes(corpus.spark, probes)
+    asked = p.select("query_id", "text", F.lit(content).alias("content"), F.lit(None).cast("string").alias("path_filter"))
+    hits = corpus.documented(asked, limit * 8).select("query_id", "rank", "path", "start_line", "end_line").cache()
+    out = ""
+    for label, ranks in (("file", evaluate.file_ranks(p, hits, limit)), ("span", evaluate.span_ranks(p, hits, corpus.texts, limit))):
+        r = rank.evaluated(ranks.select(F.col("query_id").alias("probe_id"), "rank")).first()
+        if r.probes:
+            out += f"{label}  {r.probes} probes  " + "  ".join(f"R@{k} {r[f'recall_{k}']:.3f}" for k in (1, 3, 5, 10, 20)) + f"  MRR {r.mrr:.3f}\n"
+    hits.unpersist()
+    return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = _parser().parse_args(argv)
+    root, where = Path(a.root).resolve(), roots.folders()
+    settings = Settings(where["settings"])
+    if a.command == "access":
+        return print(_access(settings, root, a.what, a.folder))
+    spark, stores = session(), a.stores or f"file://{where['stores']}"
+    if a.command == "cache":
+        return print(_cache(settings, Folder(spark, stores), a.what, a.days))
+    engine = Engine(spark, root, settings, stores)
+    if a.command == "serve":
+        for reply in serve(engine, sys.stdin):
+            print(reply, flush=True)
+        return None
+    corpus = engine.corpus(root)
     most = 30 if a.command == "search" else 200
-    limit = min(max(1, a.limit or (rank.LIMIT if a.command == "search" else lookup.BUDGET)), most)
+    limit = min(max(1, getattr(a, "limit", None) or (rank.LIMIT if a.command == "search" else 20 if a.command == "eval" else lookup.BUDGET)), most)
     if a.command == "search":
-        q = session().createDataFrame([(1, a.what, a.content, a.path)], "query_id long, text string, content string, path_filter string")
-        out = corpus.search(q, limit).orderBy("rank")
-    elif a.command == "usages":
-        out = lookup.budgeted(corpus.usages(a.what, a.path), budget=limit).orderBy("position")
-    elif a.command == "grep":
-        out = corpus.grep(a.what, a.path).orderBy("path", "line").limit(limit)
-    else:
-        out = corpus.outline(a.what)
-    for row in out.collect():  # at most ``limit`` rows, or one folder or file
-        print(*["" if v is None else v for v in row], sep="\t")
+        return print(answers.search(corpus, a.what, a.content, a.path, limit))
+    if a.command == "usages":
+        return print(answers.usages_of(corpus, a.what, a.path, limit))
+    if a.command == "grep":
+        return print(answers.grep(corpus, a.what, a.path, limit))
+    if a.command == "outline":
+        return print(answers.outline_of(corpus, a.what))
+    if a.command == "eval":
+        return print(evaluated(corpus, a.what, limit, a.content))
+    return print(f"{corpus.files.count()} files, {corpus.chunks.count()} chunks in {len(corpus.store.manifest.live())} segments")
 
 
 if __name__ == "__main__":

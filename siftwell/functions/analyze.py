@@ -38,10 +38,10 @@ def stems(terms: DataFrame) -> DataFrame:
     return terms.where("term is not null").select("term").distinct().withColumn("stem", of("term"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
     """(query_id, term, n_terms): the distinct stems of a question's terms without
-    stop words; a compound word keeps its whole form unstemmed. Null and empty
-    questions have none."""
+    stop words (the terms themselves where ``stemmed`` is false); a compound word
+    keeps its whole form unstemmed. Null and empty questions have none."""
 
     def of(word):
         p = F.filter(T.parts(word), lambda x: ~x.isin(*ENGLISH, *RUSSIAN))
@@ -52,8 +52,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
         return F.when(compound, F.concat(p, F.array(F.struct(whole.alias("term"), F.lit(False).alias("stemmed"))))).otherwise(p)
 
     raw = queries.select("query_id", F.explode(F.flatten(F.transform(T.words(F.col("text")), all_of))).alias("x")).select("query_id", "x.term", "x.stemmed")
-    vocabulary = stems(raw.where("stemmed"))
-    done = raw.join(vocabulary, "term", "left").select("query_id", F.when(F.col("stemmed"), F.col("stem")).otherwise(F.col("term")).alias("term")).distinct()
+    if stemmed:
+        vocabulary = stems(raw.where("stemmed"))
+        raw = raw.join(vocabulary, "term", "left").select("query_id", F.when(F.col("stemmed"), F.col("stem")).otherwise(F.col("term")).alias("term"))
+    done = raw.select("query_id", "term").distinct()
     return done.join(done.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_terms")), "query_id").select("query_id", "term", "n_terms")
 
 

@@ -108,9 +108,3 @@ def trigrams(name: Column) -> Column:
     """Trigrams of a name padded with a space on both sides."""
     padded = F.concat(F.lit(" "), name, F.lit(" "))
     return F.when(F.char_length(padded) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-
-
-def likeness(asked: Column, has: Column) -> Column:
-    """Dice likeness of two trigram arrays; repeats in ``asked`` count."""
-    shared = F.size(F.filter(asked, lambda t: F.array_contains(has, t)))
-    return 2.0 * shared / (F.size(asked) + F.size(has))

@@ -94,9 +94,10 @@ def budgeted(usages: DataFrame, key: str = "file_id", budget: int = BUDGET) -> D
 
 def snippet_window(lines: DataFrame, terms: list[str], size: int, key: str) -> DataFrame:
     """(key, first_line, distinct_terms, hits): the window of ``size`` lines with
-    most distinct terms, then most hits, the earliest of equals. Terms match as
-    whole lower-case words; at most 64 of them fit the bitmap. Texts shorter
-    than a window are one window."""
+    most distinct terms, then most hits, the earliest of equals; it slides forward
+    until at most two lines precede its first match, if that costs no term. Terms
+    match as whole lower-case words; at most 64 of them fit the bitmap. Texts
+    shorter than a window are one window."""
     if not 0 < len(terms) <= 64:
         raise ValueError("between 1 and 64 terms")
     low = F.lower("content")
@@ -107,7 +108,12 @@ def snippet_window(lines: DataFrame, terms: list[str], size: int, key: str) -> D
     frame = Window.partitionBy(key).orderBy("line").rowsBetween(0, size - 1)
     whole = Window.partitionBy(key)
     b = lines.select(key, "line", bits.alias("bits"), F.count(F.lit(1)).over(whole).alias("n"))
-    w = b.select(key, "line", "n", F.bit_or("bits").over(frame).alias("seen"), F.sum(F.bit_count("bits")).over(frame).alias("hits"))
-    w = w.where((F.col("line") <= F.greatest(F.col("n") - size + 1, F.lit(1))) & (F.col("seen") != 0))
-    best = w.groupBy(key).agg(F.max_by(F.struct("line", "seen", "hits"), F.struct(F.bit_count("seen"), "hits", -F.col("line"))).alias("x"))
-    return best.select(key, F.col("x.line").alias("first_line"), F.bit_count("x.seen").alias("distinct_terms"), F.col("x.hits").alias("hits"))
+    w = b.select(key, "line", "n", F.bit_or("bits").over(frame).alias("seen"), F.sum(F.bit_count("bits")).over(frame).alias("hits"), F.min(F.when(F.col("bits") != 0, F.col("line"))).over(frame).alias("match"))
+    end = F.greatest(F.col("n") - size + 1, F.lit(1))
+    w = w.where((F.col("line") <= end) & (F.col("seen") != 0))
+    w = w.withColumn("worth", F.struct(F.bit_count("seen").alias("terms"), F.col("hits")))
+    best = w.withColumn("top", F.max("worth").over(whole)).where(F.col("worth") == F.col("top"))
+    slid = F.least(F.greatest(F.col("match") - 2, F.lit(1)), end)
+    best = best.withColumn("goal", F.min(F.struct("line", slid.alias("slid"))).over(whole)["slid"])
+    x = best.groupBy(key).agg(F.min("line").alias("first"), F.max(F.when(F.col("line") == F.col("goal"), F.col("line"))).alias("slid"), F.first("worth").alias("worth"))
+    return x.select(key, F.coalesce("slid", "first").alias("first_line"), F.col("worth.terms").alias("distinct_terms"), F.col("worth.hits").alias("hits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_SEGMENTS, DEAD_SHARE, RACY_SECONDS = 8, 0.25, 2
@@ -33,11 +33,19 @@ def upsert(old: DataFrame, fresh: DataFrame, gone: DataFrame, keys: Sequence[str
     return old.join(out, list(keys), "left_anti").unionByName(fresh)
 
 
-def borrowed(missing: DataFrame, donors: DataFrame, on: Sequence[str], order: Sequence[str], take: Sequence[str]) -> DataFrame:
-    """What other checkouts have already computed for the same content: the
-    newest donor row per ``on`` keys, joined to ``missing``."""
-    best = donors.join(missing.select(*on).distinct(), list(on), "left_semi").groupBy(*on).agg(F.max_by(F.struct(*take), F.struct(*order)).alias("d"))
-    return missing.join(best, list(on)).select(*missing.columns, *[F.col(f"d.{c}").alias(f"donor_{c}") for c in take])
+def borrowed(missing: DataFrame, donors: DataFrame, on: Sequence[str], order: Sequence[str], take: Sequence[str], own: str) -> DataFrame:
+    """What other checkouts have already computed for the same content: of the donor
+    rows with the same ``on`` keys and another ``own`` (a checkout), the newest by
+    ``order``, joined to ``missing``. Of each content only the newest donor and the
+    newest of another checkout travel on, however many hold it."""
+    keys = missing.select(*on).distinct()
+    rows = donors.join(keys, list(on), "left_semi").groupBy(*on, F.col(own).alias("_own")).agg(F.max(F.struct(*order)).alias("_o"), F.max_by(F.struct(*take), F.struct(*order)).alias("_d"))
+    first = rows.groupBy(*on).agg(F.max_by(F.struct("_own", "_d"), F.struct("_o", "_own")).alias("_a"))
+    others = rows.join(first.select(*on, F.col("_a._own").alias("_top")), list(on)).where(F.col("_own") != F.col("_top"))
+    second = others.groupBy(*on).agg(F.max_by("_d", F.struct("_o", "_own")).alias("_b"))
+    found = missing.join(first.join(second, list(on), "left"), list(on))
+    donor = F.when(F.col("_a._own") != F.col(own), F.col("_a._d")).otherwise(F.col("_b"))
+    return found.withColumn("_d", donor).where("_d is not null").select(*missing.columns, *[F.col(f"_d.{c}").alias(f"donor_{c}") for c in take])
 
 
 def racy(old: DataFrame, new: DataFrame, keys: Sequence[str], walked_s: Column) -> DataFrame:
@@ -59,12 +67,11 @@ def upkeep(segments: DataFrame) -> DataFrame:
     return s.withColumn("dead_share", F.round(dead, 9)).withColumn("compact", (F.col("segments") > MAX_SEGMENTS) | (dead > DEAD_SHARE))
 
 
-def merged_postings(*segments: DataFrame) -> DataFrame:
-    """Segments' postings as one table, sorted by term within its files."""
-    out = segments[0]
-    for s in segments[1:]:
-        out = out.unionByName(s)
-    out = out.groupBy("term", "chunk_id").agg(F.max("weight").alias("weight"))
+def merged_postings(segments: DataFrame) -> DataFrame:
+    """(term, chunk_id, weight, segments) of the postings of many segments (segment,
+    term, chunk_id, weight): one dictionary, sorted by term within its files, and
+    how many segments held a posting. Of a posting in several the newest counts."""
+    out = segments.groupBy("term", "chunk_id").agg(F.max_by("weight", "segment").alias("weight"), F.count_distinct("segment").alias("segments"))
     return out.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
 
 
@@ -83,9 +90,3 @@ def dense_ids(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 
     one = rows.withColumn("_one", F.lit(1).cast("long"))
     return running(one, [], [F.col(c) for c in order], "_one", name).withColumn(name, F.col(name) - 1).drop("_one")
-
-
-def last_version(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """As :func:`latest` by window, for streams of versions that stay ordered."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -68,11 +68,15 @@ def path_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that each stored question's content and path filters admit."""
+    """Files that each stored question's content and path filters admit. Files are
+    counted per kind for the questions without a path filter."""
     q = table(spark, sf_dir, "search_queries", "query_id", "content", "path_filter")
-    f = live_files(spark, sf_dir).groupBy("kind", outline.first_component(F.col("path")).alias("top")).agg(F.count(F.lit(1)).alias("files"))
-    kinds = f.groupBy("kind").agg(F.sum("files").alias("files"))
-    return q.join(kinds, classify.admits(F.col("content"), F.col("kind"))).groupBy("query_id").agg(F.sum("files").alias("files"))
+    f = live_files(spark, sf_dir).select("kind", "path")
+    kinds = f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    wanted = classify.admits(F.col("content"), F.col("kind"))
+    anywhere = q.where("path_filter is null").join(kinds, wanted).select("query_id", "n")
+    below = q.where("path_filter is not null").join(f, F.col("path").contains(F.col("path_filter")) & wanted).select("query_id", F.lit(1).cast("long").alias("n"))
+    return anywhere.unionByName(below).groupBy("query_id").agg(F.sum("n").alias("files"))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +102,10 @@ def declared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files whose names are most like those of the stored questions."""
-    asked = table(spark, sf_dir, "search_queries", "query_id", F.regexp_replace("text", " ", "").alias("asked"))
-    return outline.near_names(asked, live_files(spark, sf_dir).select("file_id", "path", "kind"), enough=outline.NEAR_BESIDE)
+    """The files whose names are most like those of the stored questions; a path
+    filter names the folder asked in."""
+    asked = table(spark, sf_dir, "search_queries", "query_id", F.regexp_replace("text", " ", "").alias("asked"), F.col("path_filter").alias("beside"))
+    return outline.near_names(asked, live_files(spark, sf_dir).select("file_id", "path", "kind"))
 
 
 def tail_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +149,7 @@ SQL = {
     "test_by_path": f"with {FILES} select file_id, path from files where {_TEST}",
     "entry_filter": f"select distinct file_id, path, stamp.bytes as bytes from code_files where stamp.bytes <= 1048576 and not {_JUNK} and {_KIND} is not null",
     "path_contains": "select distinct file_id, path from code_files where contains(path, 'src/')",
-    "content_admit": f"with {FILES} select query_id, cast(count(*) as bigint) as files from search_queries q join files f on case lower(q.content) when 'code' then f.kind in ('Code', 'Test') when 'docs' then f.kind = 'Docs' when 'config' then f.kind = 'Config' else true end group by query_id",
+    "content_admit": f"with {FILES} select query_id, cast(count(*) as bigint) as files from search_queries q join files f on case lower(q.content) when 'code' then f.kind in ('Code', 'Test') when 'docs' then f.kind = 'Docs' when 'config' then f.kind = 'Config' else true end and (q.path_filter is null or contains(f.path, q.path_filter)) group by query_id",
     "corpus_stats": f"with {FILES}, {CHUNKS} select (select count(*) from chunks) as n_chunks, (select round(avg(length), 6) from chunks) as avg_chunk_len, (select count(*) from files) as n_files, (select round(avg(length), 6) from files) as avg_file_len",
     "directory_rollup": f"with {FILES} select root_id, case when contains(substr(path, 5), '/') then string_split(substr(path, 5), '/')[1] || '/' else '' end as entry, count(*) as files from files where starts_with(path, 'src/') group by all",
     "file_lines": f"with {CHUNKS} select file_id, max(end_line) as lines from chunks group by file_id",
@@ -166,11 +171,11 @@ SQL = {
     "import_share": rf"""with {LINES}, t as (select doc_id, {TRIM} as t from lines),
         f as (select doc_id, (starts_with(t, '"') and ends_with(regexp_replace(t, ',+$', ''), '"')) or (ends_with(t, '"') and len(regexp_split_to_array(t, '{_WS}+')) = 2 and contains(t, '/')) or regexp_matches(t, '^({"|".join(map(_quote, classify.IMPORTS))})') or (contains(t, 'require(') and starts_with(t, 'const ')) as imp from t where t not in ('', '(', ')'))
         select doc_id, count(*) filter (imp) as importing, count(*) as written, importing * 5 >= written * 3 as imports from f group by doc_id""",
-    "near_names": rf"""with {FILES}, a as (select query_id, lower(split_part(replace(text, ' ', ''), '.', 1)) as s from search_queries),
-        f as (select file_id, kind, lower(split_part({_NAME}, '.', 1)) as s from files),
-        g as (select query_id, list_transform(generate_series(1, length(s)), lambda i: substr(' ' || s || ' ', i, 3)) as w from a),
-        h as (select file_id, kind, list_transform(generate_series(1, length(s)), lambda i: substr(' ' || s || ' ', i, 3)) as h from f),
-        x as (select query_id, file_id, round(2.0 * len(list_filter(w, lambda t: list_contains(h, t))) / (len(w) + len(h)), 9) as likeness, kind from g, h),
-        r as (select query_id, file_id, likeness, row_number() over (partition by query_id order by likeness - case when kind = 'Test' then 0.5 else 0 end desc, file_id) as rank from x where likeness >= 0.3)
+    "near_names": rf"""with {FILES}, a as (select query_id, path_filter, lower(split_part(replace(text, ' ', ''), '.', 1)) as s from search_queries),
+        f as (select file_id, kind, path, lower(split_part({_NAME}, '.', 1)) as s from files),
+        g as (select query_id, path_filter, list_transform(generate_series(1, length(s)), lambda i: substr(' ' || s || ' ', i, 3)) as w from a),
+        h as (select file_id, kind, path, list_transform(generate_series(1, length(s)), lambda i: substr(' ' || s || ' ', i, 3)) as h from f),
+        x as (select query_id, file_id, round(2.0 * len(list_filter(w, lambda t: list_contains(h, t))) / (len(w) + len(h)), 9) as likeness, kind, coalesce(starts_with(path, path_filter), false) as beside from g, h),
+        r as (select query_id, file_id, likeness, row_number() over (partition by query_id order by round(likeness + case when beside then 1 else 0 end - case when kind = 'Test' then 0.5 else 0 end, 9) desc, file_id) as rank from x where likeness >= case when beside then 0.3 else 0.6 end)
         select query_id, file_id, likeness, cast(rank as integer) as rank from r where rank <= 5""",
 }

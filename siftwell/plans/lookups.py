@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions import analyze
 from siftwell.functions import text as T
 from siftwell.operators import lookup, outline
 from siftwell.plans.files import FILES, LINES, TRIM, live_chunks, live_files
@@ -48,6 +49,11 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query_id", F.array_distinct(T.plain_words(F.col("text"))).alias("terms"), F.array_sort(T.identifier_words(F.col("text"))).alias("identifiers"))
 
 
+def query_terms_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct terms of the stored questions without stop words, before stemming."""
+    return analyze.query_terms(table(spark, sf_dir, "search_queries", "query_id", "text").dropDuplicates(["query_id"]), stemmed=False)
+
+
 def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = T.explode_lines(_docs(spark, sf_dir))
     return ls.groupBy("doc_id").agg(F.count_if(T.comment_line(F.col("content"))).alias("comments"), F.count(F.lit(1)).alias("lines"))
@@ -129,11 +135,12 @@ def comment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.runs(ls, "doc_id", "line", "block").where("block and n >= 2").select("doc_id", F.col("first").alias("first_line"), F.col("last").alias("last_line"))
 
 
-QUERIES = {f.__name__: f for f in (lines_explode, camel_split, term_frequency, tokenize_terms, document_frequency, query_terms, comment_lines, grep_regex, whole_word_usages, literal_usages, quoted_literal, posting_intersection, inside_label, usage_counts, usage_totals, usage_order_budget, snippet_window, headings, comment_runs)}
+QUERIES = {f.__name__: f for f in (lines_explode, camel_split, term_frequency, tokenize_terms, document_frequency, query_terms, query_terms_stop, comment_lines, grep_regex, whole_word_usages, literal_usages, quoted_literal, posting_intersection, inside_label, usage_counts, usage_totals, usage_order_budget, snippet_window, headings, comment_runs)}
 
 _GAP = r"[^\p{L}\p{N}_]"
 _CUT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(word, '_', ' '), '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{L})([^\p{L} ])', '\1 \2', 'g'), '([^\p{L} ])(\p{L})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')"
 _PARTS = f"list_transform(list_filter(string_split({_CUT}, ' '), lambda x: length(x) >= 2 and not regexp_full_match(x, '[0-9]+')), lambda x: lower(x))"
+_STOP = ", ".join("'" + w + "'" for w in (*analyze.ENGLISH, *analyze.RUSSIAN))
 _COMMENT = rf"regexp_matches({TRIM}, '^(//|/\*|--|\*( |$)|#($|[^\[!id]|i($|[^n])|in($|[^c])|inc($|[^l])|incl($|[^u])|inclu($|[^d])|includ($|[^e])|d($|[^e])|de($|[^f])|def($|[^i])|defi($|[^n])|defin($|[^e])))')"
 _DECLARED = "declared as (select file_id, x.line as line, min(x.name) as name from (select file_id, unnest(names) as x from chunks) where x.name is not null and x.line is not null group by all)"
 _USAGES = rf"""with {FILES}, chunks as (select chunk_id, max(file_id) as file_id, arg_max(names, coalesce(len(names), -1)) as names from code_chunks where chunk_id is not null group by chunk_id), {_DECLARED},
@@ -156,6 +163,7 @@ SQL = {
         select l.query_id, coalesce(f.terms, []) as terms, list_sort(list_concat(list_transform(list_filter(long, lambda x: len(long) = 1 or contains(x, '_') or regexp_matches(x, '^.\\P{{Lu}}*\\p{{Lu}}')), lambda x: lower(x)),
           list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: regexp_replace(x, '^[.#%]+|[,:;{{]+$', '', 'g')), lambda x: contains(x, '-') and regexp_full_match(x, '[\\p{{L}}\\p{{N}}_$-]+')), lambda x: lower(x)))) as identifiers
         from l left join f on f.query_id = l.query_id""",
+    "query_terms_stop": f"with q as (select query_id, any_value(text) as text from search_queries group by query_id), w as (select query_id, unnest(regexp_split_to_array(text, '{_GAP}+')) as word from q), p as (select query_id, lower(word) as whole, list_filter({_PARTS}, lambda x: x not in ({_STOP})) as ps from w where word <> ''), t as (select distinct query_id, unnest(case when len(ps) > 1 then list_append(ps, whole) else ps end) as term from p) select query_id, term, cast(count(*) over (partition by query_id) as integer) as n_terms from t",
     "comment_lines": f"with {LINES} select doc_id, count(*) filter ({_COMMENT}) as comments, count(*) as lines from lines group by doc_id",
     "grep_regex": rf"with {LINES} select doc_id, line, content from lines where regexp_matches(content, 'return [a-z]+\(')",
     "whole_word_usages": f"with {LINES} select doc_id, line, content from lines where regexp_matches(content, '(^|{_GAP}){SYMBOL}($|{_GAP})')",
@@ -168,8 +176,10 @@ SQL = {
     "usage_order_budget": _USAGES + ", c as (select file_id, path, kind, count(*) as n from u group by all), p as (select file_id, row_number() over (order by case when kind in ('Code', 'Config') then 0 when kind = 'Test' then 1 else 2 end, n desc, path, file_id) as place from c), r as (select u.*, place, row_number() over (partition by u.file_id order by declares desc, line) as r from u join p on p.file_id = u.file_id where place <= 40) select * from (select cast(row_number() over (order by place, r) as integer) as position, file_id, line from r where r <= 8) where position <= 40",
     "snippet_window": f"""with {LINES}, b as (select doc_id, line, count(*) over (partition by doc_id) as n, {' | '.join(f"(case when {f} then {1 << i} else 0 end)" for i, f in enumerate(_FLAGS))} as bits from lines),
         w as (select doc_id, line, n, bit_or(bits) over f as seen, sum(bit_count(bits)) over f as hits from b window f as (partition by doc_id order by line rows between current row and 11 following)),
-        r as (select *, row_number() over (partition by doc_id order by bit_count(seen) desc, hits desc, line) as r from w where line <= greatest(n - 11, 1) and seen <> 0)
-        select doc_id, line as first_line, cast(bit_count(seen) as integer) as distinct_terms, cast(hits as bigint) as hits from r where r = 1""",
+        v as (select *, bit_count(seen) as d, greatest(n - 11, 1) as e from w where line <= greatest(n - 11, 1) and seen <> 0),
+        r as (select *, row_number() over (partition by doc_id order by d desc, hits desc, line) as r from v),
+        m as (select r.*, least(greatest((select min(b.line) from b where b.doc_id = r.doc_id and b.line between r.line and r.line + 11 and b.bits <> 0) - 2, 1), e) as slid from r where r = 1)
+        select m.doc_id, coalesce(v.line, m.line) as first_line, cast(m.d as integer) as distinct_terms, cast(m.hits as bigint) as hits from m left join v on v.doc_id = m.doc_id and v.line = m.slid and v.d = m.d and v.hits = m.hits""",
     "headings": rf"""with {LINES}, d as (select l.*, case when regexp_matches(content, '^\s*(```|~~~)') then 1 else 0 end as fence from lines l join documents d on d.doc_id = l.doc_id where d.kind = 'Docs'),
         o as (select *, sum(fence) over (partition by doc_id order by line) % 2 as open, regexp_extract(content, '^#{{1,6}}[ \t]+(.*?)[#\s]*$', 1) as title from d)
         select doc_id, line, title from o where open = 0 and fence = 0 and title <> ''""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.plans import changes, files, lookups, searches, stores
+from siftwell.plans import answers, changes, files, lookups, searches, stores
 
-_MODULES = (changes, files, lookups, searches, stores)
+_MODULES = (answers, changes, files, lookups, searches, stores)
 FLAGSHIP = searches.search_plain
 
 
