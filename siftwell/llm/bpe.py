@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from siftwell.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pre-token pattern that byte-level BPE vocabularies of this family share.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -222,7 +224,7 @@ def _mapped(df: DataFrame, text: str, out: str, path: str, count: bool) -> DataF
                 yield pa.RecordBatch.from_arrays([*[k.slice(at, step) for k in keep], made], names=names)
                 at += step
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def encode_column(df: DataFrame, text: str, out: str = "ids", path: str | None = None) -> DataFrame:
