@@ -238,6 +238,22 @@ def test_subjects_spread_from_few_seeds_and_shrug_off_wrong_ones(spark):
     assert got[wrong] == {"law"}
 
 
+def test_edges_are_the_same_by_joins_and_within_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(4, 60)[0], "doc_id long, text string, n string")
+    held = subjects.document_words(docs).select("doc_id", "n", "words").cache()
+
+    def edges():
+        return {r.doc_id: sorted(map(tuple, r.near)) for r in subjects.similar(subjects.signatures(held)).collect()}
+
+    within = edges()
+    monkeypatch.setattr(subjects, "BROADCAST_WORDS", 0)
+    joined = edges()
+    assert within.keys() == joined.keys() and len(within) > 50
+    for doc, near in within.items():
+        assert [h for h, _ in near] == [h for h, _ in joined[doc]] and all(abs(a - b) < 1e-4 for (_, a), (_, b) in zip(near, joined[doc]))
+    held.unpersist()
+
+
 def test_subjects_without_labels_or_documents(spark):
     d, none = spark.createDataFrame(corpus(1, 5)[0], "doc_id long, text string, n string"), spark.createDataFrame([], "doc_id long, subject string")
     assert subjects.subject_areas(d, none).count() == 0
