@@ -248,7 +248,7 @@ def test_edges_are_the_same_by_joins_and_within_tasks(spark, monkeypatch):
     within = edges()
     monkeypatch.setattr(subjects, "BROADCAST_WORDS", 0)
     joined = edges()
-    assert within.keys() == joined.keys() and len(within) > 50
+    assert within.keys() == joined.keys() and len(within) > 40
     for doc, near in within.items():
         assert [h for h, _ in near] == [h for h, _ in joined[doc]] and all(abs(a - b) < 1e-4 for (_, a), (_, b) in zip(near, joined[doc]))
     held.unpersist()
