@@ -254,6 +254,44 @@ def test_edges_are_the_same_by_joins_and_within_tasks(spark, monkeypatch):
     held.unpersist()
 
 
+def test_all_partners_are_heard(spark):
+    docs = spark.createDataFrame(corpus(4, 60)[0], "doc_id long, text string, n string")
+    sigs = subjects.signatures(subjects.document_words(docs).select("doc_id", "n", "words")).cache()
+    vectors = {r.doc_id: {t.w: t.x for t in r.sig} for r in sigs.collect()}
+    pairs = {(i, j): sum(x * b.get(w, 0) for w, x in a.items()) for i, a in vectors.items() for j, b in vectors.items() if i != j}
+    listed = {(r.doc_id, j): cos for r in subjects.similar(sigs).collect() for j, cos in map(tuple, r.near)}
+    assert {p for p, cos in pairs.items() if cos > 0.1001} <= set(listed) <= {p for p, cos in pairs.items() if cos > 0.0999}
+    assert all(abs(pairs[p] - cos) < 1e-5 for p, cos in listed.items())
+
+    parts = {i: {"law": 0.25, "farm": 0.75} if i % 3 else {"law": 1.0} for i in vectors if i % 2}
+    labels = spark.createDataFrame([(i, list(p.items())) for i, p in parts.items()], "doc_id long, parts array<struct<subject string, part double>>")
+    sums = subjects._sums(sigs, labels)
+    want = {}
+    for (i, j), cos in pairs.items():
+        for s, part in parts.get(j, {}).items():
+            want[i, s] = want.get((i, s), 0) + cos * part
+    got = {(r.doc_id, r.subject): r.x for r in subjects._heard(sigs, labels, sums.select("w", "subject", "said")).collect()}
+    assert all(abs(got.get(k, 0) - want.get(k, 0)) < 1e-5 for k in got.keys() | want.keys())
+    sigs.unpersist()
+
+
+def test_labels_are_the_same_by_joins_and_within_tasks(spark, monkeypatch):
+    docs, truth = corpus(7, 120)
+    d = spark.createDataFrame([*docs, (500, "", "")], "doc_id long, text string, n string")
+    sigs = subjects.signatures(subjects.document_words(d).select("doc_id", "n", "words")).cache()
+    seeds = spark.createDataFrame([(i, sorted(own)) for i, own in truth.items() if own and i % 5 == 0] + [(500, ["law"])], "doc_id long, marked array<string>")
+
+    def labels():
+        return {(r.doc_id, p.subject): p.part for r in subjects.propagated(sigs, seeds).collect() for p in r.parts}
+
+    within = labels()
+    monkeypatch.setattr(subjects, "BROADCAST_WORDS", 0)
+    joined = labels()
+    assert within.keys() == joined.keys() and len(within) > 80 and within[500, "law"] == 1
+    assert all(abs(part - joined[k]) < 1e-6 for k, part in within.items())
+    sigs.unpersist()
+
+
 def test_subjects_without_labels_or_documents(spark):
     d, none = spark.createDataFrame(corpus(1, 5)[0], "doc_id long, text string, n string"), spark.createDataFrame([], "doc_id long, subject string")
     assert subjects.subject_areas(d, none).count() == 0
